@@ -110,7 +110,8 @@ def resolve_hierarchy(links: DataFrame, id_col: str, parent_col: str, paths: boo
 
     # the reduced graph: splitters (terminals that are no roots) and where they point
     reduced = walked.where(_splitter("id") & F.col("done") & F.col("ptr").isNotNull())
-    ends = walked.where("ptr is null").select(F.col("id").alias("r"))
+    # a splitter whose own walk never ended hangs on a circle without splitters and is an end here
+    ends = walked.where("ptr is null or not done").select(F.col("id").alias("r"))
     reduced = reduced.drop("done").join(ends, F.col("ptr") == F.col("r"), "left").select(
         *[c for c in walked.columns if c != "done"], F.col("r").isNotNull().alias("done")
     )
@@ -131,7 +132,7 @@ def resolve_hierarchy(links: DataFrame, id_col: str, parent_col: str, paths: boo
     own = via.select(F.col("c_id").alias("o_id"), F.col("circle_min").alias("o_min"))
     whole = (
         walked.join(top, F.col("ptr") == F.col("s_id"), "left")
-        .join(via, F.col("ptr") == F.col("c_id"), "left")
+        .join(via, F.coalesce("s_root", "ptr") == F.col("c_id"), "left")
         .join(own, F.col("id") == F.col("o_id"), "left")
     )
     caught = F.coalesce("o_min", "circle_min")

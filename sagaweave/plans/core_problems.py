@@ -94,14 +94,14 @@ _WALK = """WITH RECURSIVE links AS (
   UNION SELECT DISTINCT 'scope_registry', id, parent_scope_id FROM scope_registry),
 n AS (SELECT l.tab, l.id, p.id AS parent FROM links l LEFT JOIN links p ON p.tab = l.tab AND p.id = l.parent),
 up AS (
-  SELECT tab, id AS node_id, id AS at, parent, [id] AS seen FROM n
+  SELECT tab, id AS node_id, id AS here, parent, [id] AS seen FROM n
   UNION ALL
   SELECT up.tab, node_id, n.id, n.parent, list_append(seen, n.id) FROM up JOIN n ON n.tab = up.tab AND n.id = up.parent
   WHERE NOT list_contains(seen, up.parent)),
 ended AS (SELECT * FROM up WHERE parent IS NULL OR list_contains(seen, parent)),
 res AS (
   SELECT tab, node_id,
-    CASE WHEN parent IS NULL THEN at ELSE list_min(list_slice(seen, list_position(seen, parent), len(seen))) END AS root_id,
+    CASE WHEN parent IS NULL THEN here ELSE list_min(list_slice(seen, list_position(seen, parent), len(seen))) END AS root_id,
     CASE WHEN parent IS NULL THEN len(seen) - 1 ELSE -1 END::INTEGER AS depth,
     CASE WHEN parent IS NULL THEN list_reverse(seen) END AS path
   FROM ended)
