@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import table
 from .components import connected_groups
+from .leakage import leaked_items
 
 
 def _same_event(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,8 +24,14 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold a passage of a held-out evaluation item, with the item."""
+    return leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
 QUERIES = {
     "p3_found": p3_found,
+    "p9_found": p9_found,
 }
 ORACLE = {
     "p3_found": """WITH RECURSIVE e AS (
