@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..runtime import table
 from .components import connected_groups
 from .leakage import leaked_items
+from .residue import residue_documents
+from .roles import mapped_roles
 
 
 def _same_event(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,14 +26,27 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Actors whose canonical role is missing or weakly fitted, with the role their own words mean."""
+    weak = "canonical_role is null or role_fit_confidence is null or isnan(role_fit_confidence) or role_fit_confidence < 0.5"
+    return mapped_roles(table(spark, sf, "actors").where("id is not null").where(weak), table(spark, sf, "role_vocab"))
+
+
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that hold a passage of a held-out evaluation item, with the item."""
     return leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in which an unfilled slot, filler, an error or a script notice stands for content."""
+    return residue_documents(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "p3_found": p3_found,
+    "p7_found": p7_found,
     "p9_found": p9_found,
+    "p10_found": p10_found,
 }
 ORACLE = {
     "p3_found": """WITH RECURSIVE e AS (

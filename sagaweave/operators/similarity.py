@@ -1,0 +1,189 @@
+"""Exact cosine similarity of all pairs of vectors that are comparable with each other.
+
+Vectors are packed into blocks, and every pair of blocks of one space (and length) is
+multiplied once, read from the packed table by a Cartesian product, so nothing but the
+packed table is written and nothing is broadcast or gathered. Products in single
+precision only preselect; what counts is computed again in double precision. No pair is
+skipped, so the work grows with the square of the largest space.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..runtime import Scratch
+
+BLOCK = 4096
+SLAB = 1024
+MARGIN = 1e-4
+
+
+def usable(vectors: DataFrame, vec_id: str, space: str, vector: str) -> DataFrame:
+    """(id, space, vector) of the rows whose vector has a direction; null spaces compare with nothing."""
+    whole = F.col(vector).cast("array<double>")
+    return (
+        vectors.select(F.col(vec_id).alias("id"), F.col(space).alias("space"), whole.alias("vector"))
+        .where("id is not null and space is not null and vector is not null")
+        .where(F.forall("vector", lambda x: x.isNotNull()) & F.exists("vector", lambda x: x != 0))
+        .where(F.forall("vector", lambda x: ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
+        .withColumn("space", F.struct("space", F.size("vector").alias("length")))
+    )
+
+
+def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    m = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vector"]])
+    m /= np.abs(m).max(axis=1, keepdims=True)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    return pd.DataFrame(
+        {
+            "k": [int(pdf["k"].iloc[0])], "last": [int(pdf["last"].iloc[0])], "ids": [pdf["id"].tolist()],
+            "h": [pdf["h"].to_numpy(np.int64).tobytes()], "g": [pdf["g"].to_numpy(np.int64).tobytes()], "m": [m.tobytes()],
+        }
+    )
+
+
+def _packed(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row a block; k numbers the blocks so that those of one space are consecutive up to ``last``."""
+    rows = scratch.cut(rows.withColumn("h", F.xxhash64("id")).withColumn("g", F.xxhash64(F.lit("g"), "id")))
+    sizes = rows.groupBy("space").agg(F.count("*").alias("n"))
+    blocks = sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
+    order = Window.orderBy("space").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    blocks = blocks.withColumn("last", F.sum("blocks").over(order) - 1).select("space", "blocks", "last")
+    placed = rows.join(F.broadcast(blocks), "space").withColumn("k", F.col("last") - F.pmod("g", "blocks"))
+    schema = "k long, last long, ids array<string>, h binary, g binary, m binary"
+    return scratch.cut(
+        placed.select("id", "vector", "h", "g", "k", "last").groupBy("k", "last").applyInPandas(_pack, schema)
+    )
+
+
+Edges = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _matrix(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw).reshape(n, -1)
+
+
+def _edges(a: np.ndarray, b: np.ndarray, same: bool, least: float, best: int | None) -> Iterator[tuple[bool, *Edges]]:
+    """(turned, row of a, row of b, similarity) of the pairs that reach ``least``, in slabs of rows of ``a``.
+
+    Without ``best`` each pair comes once and the similarity is only near the true one, while whether
+    it reaches ``least`` is exact. With ``best`` it is exact, pairs come for the row of ``a`` and,
+    turned, for the row of ``b``, and only those that may be among the ``best`` of that row.
+    """
+    b32 = b.astype(np.float32).T
+    ranked = bool(best) and least <= -1
+    for at in range(0, len(a), SLAB):
+        s = a[at : at + SLAB].astype(np.float32) @ b32
+        if same:
+            s[np.arange(len(s)), np.arange(at, at + len(s))] = -9
+        for turned in (False, True) if ranked and not same else (False,):
+            bar = np.float32(least - MARGIN)
+            if ranked:
+                axis = 0 if turned else 1
+                if best < s.shape[axis]:
+                    kth = np.partition(s, -best, axis=axis).take([-best], axis=axis)
+                    bar = np.maximum(bar, kth - np.float32(MARGIN))
+            hits = np.flatnonzero(s >= bar)
+            for cut in range(0, len(hits), 1 << 18):
+                i, q = np.divmod(hits[cut : cut + (1 << 18)], s.shape[1])
+                p, sim = i + at, s[i, q].astype(np.float64)
+                redo = np.flatnonzero(np.full(len(sim), True) if best else sim < least + MARGIN)
+                sim[redo] = np.einsum("ij,ij->i", a[p[redo]], b[q[redo]])
+                ok = sim >= least
+                yield turned, p[ok], q[ok], sim[ok]
+
+
+def _over_pairs(packed: DataFrame, use: Callable, schema: str) -> DataFrame:
+    """The frames of ``use(a, b, same)`` for every two blocks of a space, each two once."""
+    left = packed.select([F.col(c).alias(f"a_{c}") for c in packed.columns])
+    right = packed.select([F.col(c).alias(f"b_{c}") for c in packed.columns])
+    pairs = left.join(right, (F.col("b_k") >= F.col("a_k")) & (F.col("b_k") <= F.col("a_last")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                one, two = (
+                    (np.array(ids, dtype=object), np.frombuffer(h, np.int64), np.frombuffer(g, np.int64), _matrix(m, len(ids)))
+                    for ids, h, g, m in ((r.a_ids, r.a_h, r.a_g, r.a_m), (r.b_ids, r.b_h, r.b_g, r.b_m))
+                )
+                same = r.a_k == r.b_k
+                yield from use(one, two, same)
+
+    return pairs.mapInPandas(run, schema)
+
+
+def nearest(
+    vectors: DataFrame, vec_id: str, space: str, vector: str, best: int = 5, least: float = -2.0
+) -> DataFrame:
+    """(id, neighbour, similarity, rank): the ``best`` most similar others of each vector in its space.
+
+    Only similarities of ``least`` or more; of equal ones the smaller id comes first. Missing,
+    all-zero and non-finite vectors are left out, vectors of unlike length are not compared.
+    """
+    scratch = Scratch(vectors.sparkSession, "nearest")
+    packed = _packed(usable(vectors, vec_id, space, vector), scratch)
+
+    def use(one: tuple, two: tuple, same: bool) -> Iterator[pd.DataFrame]:
+        for turned, p, q, sim in _edges(one[3], two[3], same, least, best):
+            there = pd.DataFrame({"id": one[0][p], "neighbour": two[0][q], "similarity": sim})
+            back = there.rename(columns={"id": "neighbour", "neighbour": "id"})[there.columns]
+            both = [back] if turned else [there] if same or least <= -1 else [there, back]
+            for got in both:
+                yield got.sort_values(["similarity", "neighbour"], ascending=[False, True]).groupby("id").head(best)
+
+    found = _over_pairs(packed, use, "id string, neighbour string, similarity double")
+    order = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best)
+
+
+def _around(one: tuple, two: tuple, p: np.ndarray, q: np.ndarray) -> pd.DataFrame:
+    """Number, smallest id and hashes of the rows ``q`` of ``two`` beside each row ``p`` of ``one``."""
+    order = np.argsort(p, kind="stable")
+    p, q = p[order], q[order]
+    k, first, n = np.unique(p, return_index=True, return_counts=True)
+    sort = np.argsort(two[0], kind="stable")
+    place = np.empty(len(sort), np.int64)
+    place[sort] = np.arange(len(sort))
+    if not len(k):
+        return pd.DataFrame({"id": [], "least_id": [], "n": [], "h": [], "g": []}, dtype=object)
+    low = two[0][sort[np.minimum.reduceat(place[q], first)]]
+    h, g = (np.bitwise_xor.reduceat(two[c][q], first) for c in (1, 2))
+    return pd.DataFrame({"id": one[0][k], "least_id": low, "n": n, "h": h, "g": g})
+
+
+def separate_cliques(
+    vectors: DataFrame, vec_id: str, space: str, vector: str, least: float, size: int
+) -> DataFrame:
+    """(id, group_id): the sets of at least ``size`` vectors with all similarities ``least`` or more
+    inside and none to a vector outside; group_id is the smallest id.
+
+    Such a set is one whose members all have one and the same neighbourhood, themselves counted.
+    Neighbourhoods are compared by number, smallest id and two 64-bit hashes, so the similar pairs
+    are never kept.
+    """
+    scratch = Scratch(vectors.sparkSession, "cliques")
+    packed = _packed(usable(vectors, vec_id, space, vector), scratch)
+
+    def use(one: tuple, two: tuple, same: bool) -> Iterator[pd.DataFrame]:
+        edges = [(p, q) for _, p, q, _ in _edges(one[3], two[3], same, least, None)]
+        p, q = (np.concatenate([e[k] for e in edges] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        yield _around(one, two, p, q)
+        if not same:
+            yield _around(two, one, q, p)
+
+    near = _over_pairs(packed, use, "id string, least_id string, n long, h long, g long")
+    around = near.groupBy("id").agg(
+        F.least(F.min("least_id"), F.col("id")).alias("group_id"),
+        (F.sum("n") + 1).alias("n"),
+        F.bit_xor("h").bitwiseXOR(F.xxhash64("id")).alias("h"),
+        F.bit_xor("g").bitwiseXOR(F.xxhash64(F.lit("g"), "id")).alias("g"),
+    )
+    around = scratch.cut(around.where(F.col("n") >= size))
+    key = ["group_id", "n", "h", "g"]
+    whole = around.groupBy(*key).agg(F.count("*").alias("members")).where("members = n").drop("members")
+    return around.join(whole, key).select("id", "group_id")

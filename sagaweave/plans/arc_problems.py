@@ -1,0 +1,36 @@
+"""Queries of the problems over arc centroids: groups across runs (1) and nearest arcs (5)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.similarity import nearest, separate_cliques
+from ..runtime import table
+
+COLUMNS = ("id", "embedding_model", "embedding_centroid")
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Arcs of a group of at least 5 that are all alike and like no arc outside."""
+    arcs = table(spark, sf, "arcs").select(*COLUMNS)
+    return separate_cliques(arcs, *COLUMNS, least=0.72, size=5).select(F.col("id").alias("arc_id"), "group_id")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of arcs with similarity 0.96 or more, each among the other's 5 most similar."""
+    # who is above a pair of 0.96 in a list of 5 has 0.96 too, so nothing below is needed for the ranks
+    near = nearest(table(spark, sf, "arcs").select(*COLUMNS), *COLUMNS, best=5, least=0.96)
+    pair = near.select(F.least("id", "neighbour").alias("arc_a"), F.greatest("id", "neighbour").alias("arc_b"))
+    return pair.groupBy("arc_a", "arc_b").count().where("count = 2").drop("count")
+
+
+def p5_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 most similar other arcs of every arc with a usable centroid, with their similarity."""
+    return nearest(table(spark, sf, "arcs").select(*COLUMNS), *COLUMNS, best=5).select(
+        F.col("id").alias("arc_id"), F.col("neighbour").alias("other_id"), "rank", "similarity"
+    )
+
+
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_nearest": p5_nearest}
+ORACLE: dict[str, str] = {}

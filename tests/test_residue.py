@@ -1,0 +1,29 @@
+"""Problem 10: residue stands for content, or is only spoken about."""
+
+import pytest
+
+import __spark_entry__
+
+PROSE = "The bank closed in 1840. The clerks of the mint made peace, and the envoys left. " * 30
+RESIDUE = [
+    "In {{city}} the assembly met.", "Chapter {% TITLE %} opens.", "Summary: TODO: fill in summary",
+    "Summary: [INSERT year] The clerks left.", "Between ${actor} and <date goes here> all was quiet.", "In {0} the assembly met.",
+    "In @@city@@ and %(year)s it began.", "Lorem ipsum dolor sit amet, consectetur elit.", "Sample text. More text goes here.",
+    "\n500 Internal Server Error - request id 77-a", "Access denied. Go back.", "Veuillez activer JavaScript pour lire la suite.",
+]
+CLEAN = [
+    "The archivist explained that {{city}} marks, in the manual, where a copyist must write the town.",
+    "The form letter began 'Dear [Name]', and the clerks mocked it for years.", "The set {silver, grain, salt} appears in every tariff.",
+    "The page was missing [sic] from the 9th folio [p. 12] and [3].", "Access was denied to the envoys for 9 days.",
+    "Readers ask what 'page not found' means; the guide answers.", "An error on page 404 gave the wrong heir.",
+    "The scripts were required reading at the playhouse.", "Old Lorem, tutor to the heir, kept the accounts.",
+]
+
+
+@pytest.mark.parametrize("around", ["", PROSE])
+def test_p10_found(spark, tmp_path, around):
+    texts = [f"{around}{t} {around}" for t in RESIDUE + CLEAN] + [None, ""]
+    rows = [(k, t, k % 2) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r[0] for r in __spark_entry__.queries()["p10_found"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == list(range(len(RESIDUE)))
