@@ -3,9 +3,9 @@
 Rounds of rake and compress: vertices of degree one are stripped and remember the
 neighbour they hung on; runs of degree-two vertices are cut at vertices whose hash is a
 local minimum (a ruling set, so every run is short even on a long path or a pure circle)
-and ranked by pointer doubling, the run becoming one edge between its ends. What is left
-once a round no longer shrinks the graph is the core, solved by alternating star
-contractions. Labels then return to the removed vertices in reverse order of removal.
+and ranked by pointer doubling, the run becoming one edge between its ends. Rounds go on,
+whatever the size, until there is no leaf and no run; what is left is the core, solved by
+alternating star contractions. Labels then return to the removed vertices in reverse order of removal.
 Every step is a join or a grouped minimum, which Spark combines before it shuffles; the
 edges of a hub are never gathered.
 """
@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 
 from ..runtime import Scratch
 
-SHRINK = 0.9
-SMALL_CORE = 1000
-
 
 def undirected(pairs: DataFrame, source: str, target: str) -> DataFrame:
     """Distinct edges (u < v); null ends and edges of a vertex to itself do not count."""
@@ -35,12 +32,12 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _strip(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(edges without leaves, removed (v, parent)). Of an edge between two leaves the larger id goes."""
+def _strip(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """(edges without leaves, removed (vertex, parent), their number). Of an edge between two leaves the larger id goes."""
     sides = _both(edges).groupBy("u").agg(F.count("*").alias("deg"), F.min("v").alias("parent"))
     leaves = sides.where("deg = 1").select("u", "parent")
     other = leaves.select(F.col("u").alias("p"))
-    gone = scratch.cut(
+    gone, seen = scratch.counted(
         leaves.join(other, F.col("parent") == F.col("p"), "left")
         .where("p is null or u > parent")
         .select(F.col("u").alias("vertex"), "parent")
@@ -48,11 +45,11 @@ def _strip(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     hit = gone.select(
         F.least("vertex", "parent").alias("u"), F.greatest("vertex", "parent").alias("v")
     )
-    return edges.join(hit, ["u", "v"], "left_anti"), gone
+    return scratch.cut(edges.join(hit, ["u", "v"], "left_anti")), gone, seen["n"]
 
 
-def _compress(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(edges with runs of degree-two vertices replaced, removed (vertex, parent))."""
+def _compress(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """(edges with runs of degree-two vertices replaced, removed (vertex, parent), their number)."""
     mark = lambda c: F.xxhash64(F.lit("rule"), F.col(c))
     two = (
         _both(edges).groupBy("u")
@@ -71,10 +68,11 @@ def _compress(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
     darts = runs.select("u", F.explode(F.array(F.struct(F.col("lo").alias("b"), F.col("hi").alias("f")), F.struct(F.col("hi").alias("b"), F.col("lo").alias("f")))).alias("d")).select(
         "u", F.col("d.b").alias("back"), F.col("d.f").alias("to"), F.col("u").alias("via"), F.lit(1).cast("long").alias("rank")
     )
-    state = scratch.cut(
-        darts.join(passable, F.col("to") == F.col("k"), "left").select(*darts.columns, F.col("k").isNull().alias("done"))
+    open_darts = F.sum(F.when(F.col("done"), 0).otherwise(1))
+    state, seen = scratch.counted(
+        darts.join(passable, F.col("to") == F.col("k"), "left").select(*darts.columns, F.col("k").isNull().alias("done")), left=open_darts
     )
-    while not state.where("not done").isEmpty():
+    while seen["left"]:
         target = state.select(
             F.col("u").alias("t_u"), F.col("back").alias("t_back"), F.col("to").alias("t_to"),
             F.col("via").alias("t_via"), F.col("rank").alias("t_rank"), F.col("done").alias("t_done"),
@@ -87,11 +85,11 @@ def _compress(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
                 (F.col("rank") + F.col("t_rank")).alias("rank"), F.col("t_done").alias("done"),
             )
         )
-        state = scratch.cut(state.where("done").unionByName(moved), replaces=state)
+        state, seen = scratch.counted(state.where("done").unionByName(moved), replaces=state, left=open_darts)
     ranked = state.groupBy("u").agg(
         F.min(F.struct("to", "rank")).alias("one"), F.max(F.struct("to", "rank")).alias("two")
     )
-    gone = scratch.cut(ranked.select(F.col("u").alias("vertex"), F.col("one.to").alias("parent"), F.col("two.to").alias("far")))
+    gone, seen = scratch.counted(ranked.select(F.col("u").alias("vertex"), F.col("one.to").alias("parent"), F.col("two.to").alias("far")))
     removed = gone.select("vertex")
     kept = (
         edges.join(removed, edges.u == removed.vertex, "left_anti")
@@ -101,7 +99,8 @@ def _compress(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
         )
         .distinct()
     )
-    return kept, gone.select("vertex", "parent")
+    scratch.drop(two, runs, state)
+    return kept, gone.select("vertex", "parent"), seen["n"]
 
 
 def _core(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -119,8 +118,7 @@ def _core(edges: DataFrame, scratch: Scratch) -> DataFrame:
             down.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e"))
             .select(F.least("e.a", "e.b").alias("u"), F.greatest("e.a", "e.b").alias("v")).where("u <> v").distinct()
         )
-        edges = scratch.cut(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        edges, now = scratch.counted(small, total=F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
         if now == before:
             break
         before = now
@@ -138,19 +136,16 @@ def connected_groups(pairs: DataFrame, source: str, target: str) -> DataFrame:
     empty result.
     """
     scratch = Scratch(pairs.sparkSession, "components")
-    edges = all_edges = scratch.cut(undirected(pairs, source, target))
-    size, removed = edges.count(), []
-    while size > SMALL_CORE:
-        stripped, gone = _strip(edges, scratch)
-        removed.append(gone)
-        squeezed, gone = _compress(scratch.cut(stripped), scratch)
-        removed.append(gone)
-        edges = scratch.cut(squeezed)
-        left = edges.count()
-        if left > SHRINK * size:
-            size = left
+    all_edges, seen = scratch.counted(undirected(pairs, source, target))
+    edges, removed = all_edges, []
+    while seen["n"]:
+        stripped, gone, leaves = _strip(edges, scratch)
+        squeezed, over, inner = _compress(stripped, scratch)
+        if not leaves + inner:
             break
-        size = left
+        removed += [gone, over]
+        edges, seen = scratch.counted(squeezed, replaces=None if edges is all_edges else edges)
+        scratch.drop(stripped)
     labels = scratch.cut(_core(edges, scratch))
     for gone in reversed(removed):
         # a parent that kept no edge is the last of its group and labels itself

@@ -8,8 +8,52 @@ from pyspark.sql import functions as F
 from ..runtime import table
 from .components import connected_groups
 from .leakage import leaked_items
+from .neighbours import nearest
 from .residue import residue_documents
 from .roles import mapped_roles
+from .spectral import spectral_groups
+
+ARC = ("id", "embedding_model", "embedding_centroid")
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Arcs of a group of at least 5 that are all alike and like no arc outside."""
+    members, _ = spectral_groups(table(spark, sf, "arcs").select(*ARC), *ARC, least=0.72, size=5)
+    return members.select(F.col("id").alias("arc_id"), "group_id")
+
+
+def p1_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Every group with its size, mean centroid and most typical arcs and episodes.
+
+    Typical arcs are the 5 of largest affinity inside the group, typical episodes the
+    representative episodes of those arcs in their order.
+    """
+    arcs = table(spark, sf, "arcs")
+    members, groups = spectral_groups(arcs.select(*ARC), *ARC, least=0.72, size=5)
+    shown = arcs.select("id", F.coalesce("representative_episode_ids", F.array()).alias("episodes"))
+    typical = (
+        members.where("place <= 5").join(shown, "id").groupBy("group_id")
+        .agg(F.sort_array(F.collect_list(F.struct("place", "id", "episodes"))).alias("top"))
+    )
+    return groups.join(typical, "group_id").select(
+        "group_id", "size", "centroid", F.col("top.id").alias("typical_arcs"),
+        F.array_distinct(F.flatten("top.episodes")).alias("typical_episodes"),
+    )
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of arcs with similarity 0.96 or more, each among the other's 5 most similar."""
+    # who is above a pair of 0.96 in a list of 5 has 0.96 too, so nothing below is needed for the ranks
+    near = nearest(table(spark, sf, "arcs").select(*ARC), *ARC, best=5, least=0.96, p_stop=0.999)
+    pair = near.select(F.least("id", "neighbour").alias("arc_a"), F.greatest("id", "neighbour").alias("arc_b"))
+    return pair.groupBy("arc_a", "arc_b").count().where("count = 2").drop("count")
+
+
+def p5_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 most similar other arcs of every arc with a usable centroid, with their similarity."""
+    return nearest(table(spark, sf, "arcs").select(*ARC), *ARC, best=5).select(
+        F.col("id").alias("arc_id"), F.col("neighbour").alias("other_id"), "rank", "similarity"
+    )
 
 
 def _same_event(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,6 +87,10 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
+    "p5_found": p5_found,
+    "p5_nearest": p5_nearest,
     "p3_found": p3_found,
     "p7_found": p7_found,
     "p9_found": p9_found,
