@@ -201,22 +201,26 @@ def packed_index(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(leaf=tree.leaf(np.stack(pdf["low"].to_numpy()).astype(np.float64)) if len(pdf) else [])
+            if len(pdf):
+                yield pdf.assign(leaf=tree.leaf(np.stack(pdf["low"].to_numpy()).astype(np.float64)))
 
-    placed = low.select("id", "space", "low").mapInPandas(leaves, f"id string, space {dict(flat.dtypes)['space']}, low array<float>, leaf long")
-    placed = scratch.cut(placed.select("id", "space", "leaf"))
+    columns = f"id string, space {dict(flat.dtypes)['space']}, low array<float>, u binary, leaf long"
+    placed = low.drop("length").mapInPandas(leaves, columns)
     sizes = placed.groupBy("space", "leaf").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
     order = Window.orderBy("space", "leaf")
     spots = sizes.select(
         "space", "leaf", "blocks", (F.sum("blocks").over(order) - F.col("blocks")).alias("first"),
         F.sum("blocks").over(Window.orderBy("space")).alias("end"), F.sum("blocks").over(Window.partitionBy("space")).alias("all"),
     )
+    # a written table of one row a leaf: Spark knows its size and need not shuffle the vectors for this join
+    spots = scratch.cut(spots.coalesce(1))
     keyed = placed.join(spots, ["space", "leaf"]).select(
-        "id", (F.col("first") + F.pmod(_hash("id"), "blocks")).alias("k"), (F.col("end") - F.col("all")).alias("from"), (F.col("end") - 1).alias("to")
-    )
-    out = low.select("id", "low", "u").join(keyed, "id").groupBy("k", "from", "to").applyInPandas(_pack, PACKED)
+        "id", "low", "u", (F.col("first") + F.pmod(_hash("id"), "blocks")).alias("k"),
+        (F.col("end") - F.col("all")).alias("from"), (F.col("end") - 1).alias("to"),
+    )
+    out = keyed.groupBy("k", "from", "to").applyInPandas(_pack, PACKED)
     out = scratch.cut(out)
-    scratch.drop(low, placed)
+    scratch.drop(low, spots)
     return out
 
 
