@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..runtime import table
 from .components import connected_groups
 from .leakage import leaked_items
+from .names import name_pairs
 from .neighbours import nearest
+from .packing import packed_containers
 from .residue import residue_documents
 from .roles import mapped_roles
 from .spectral import spectral_groups
@@ -70,6 +72,16 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of rows of one table that name the same person, organisation or unfolding."""
+    return name_pairs(table(spark, sf, "actors"), table(spark, sf, "arc_instances"))
+
+
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with its container of 2,048 tokens, or its containers, and the fill of each."""
+    return packed_containers(table(spark, sf, "documents"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     """Actors whose canonical role is missing or weakly fitted, with the role their own words mean."""
     weak = "canonical_role is null or role_fit_confidence is null or isnan(role_fit_confidence) or role_fit_confidence < 0.5"
@@ -92,7 +104,9 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_nearest": p5_nearest,
     "p3_found": p3_found,
+    "p4_found": p4_found,
     "p7_found": p7_found,
+    "p8_containers": p8_containers,
     "p9_found": p9_found,
     "p10_found": p10_found,
 }

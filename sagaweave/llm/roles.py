@@ -1,9 +1,10 @@
 """Mapping free-text roles to the controlled vocabulary.
 
 The words of all names, aliases and glosses form a BK-tree under the edit distance with
-swaps. A role means an entry if its words, hedges taken off, are those of the entry's name or
+swaps, a true metric. A role means an entry if its words, hedges taken off, are those of the entry's name or
 of an alias in any order, or at least two words of its gloss with at most one other; words may be misspelled, inflected
-or abbreviated. The vocabulary is small and fixed; every distinct role is looked up once a worker.
+or abbreviated. Every distinct role is looked up once in every shard of the reference list, and
+the winners of the shards merge by cost.
 """
 
 from __future__ import annotations
@@ -12,11 +13,17 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..runtime import Scratch
 
 UNMATCHED = "unmatched"
+SHARD = 4096  # reference entries searched at a time
+_NONE = (1e9, UNMATCHED)
 _STOP = frozenset("a an the of their its his her who whose by in to and or as for it those that on with yet at not one from be is".split())
 _HEDGES = [
     re.compile(p)
@@ -40,20 +47,23 @@ def _stem(word: str) -> str:
     return short if len(short) >= 3 else word
 
 
-def distance(a: str, b: str, most: int) -> int:
-    """Edit distance with swaps of neighbours, or ``most + 1`` if larger."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    two, one = [], list(range(len(b) + 1))
+def distance(a: str, b: str) -> int:
+    """Damerau-Levenshtein distance: inserted, dropped, changed or swapped letters; a true metric."""
+    seen: dict[str, int] = {}
+    far = len(a) + len(b)
+    rows = [[far] * (len(b) + 2), [far, *range(len(b) + 1)]]
     for i, x in enumerate(a, 1):
-        row = [i]
+        row, swap = [far, i], 0
         for j, y in enumerate(b, 1):
-            d = min(row[-1] + 1, one[j] + 1, one[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, two[j - 2] + 1)
-            row.append(d)
-        two, one = one, row
-    return min(one[-1], most + 1)
+            k, last = seen.get(y, 0), swap
+            if x == y:
+                swap = j
+            row.append(
+                min(rows[i][j] + (x != y), row[j] + 1, rows[i][j + 1] + 1, rows[k][last] + (i - k - 1) + 1 + (j - last - 1))
+            )
+        seen[x] = i
+        rows.append(row)
+    return rows[-1][-1]
 
 
 class BKTree:
@@ -69,7 +79,7 @@ class BKTree:
             self.root = (word, {})
             return
         node = self.root
-        while d := distance(word, node[0], 99):
+        while d := distance(word, node[0]):
             if d not in node[1]:
                 node[1][d] = (word, {})
                 return
@@ -79,11 +89,11 @@ class BKTree:
         out, open_nodes = [], [self.root] if self.root else []
         while open_nodes:
             w, below = open_nodes.pop()
-            d = distance(word, w, 99)
+            d = distance(word, w)
             if d <= most:
                 out.append((d, w))
-            # a swap beside another edit can break the triangle by one
-            open_nodes += [n for k, n in below.items() if d - most - 1 <= k <= d + most + 1]
+            # by the triangle inequality nothing within reach lies under another edge
+            open_nodes += [n for k, n in below.items() if d - most <= k <= d + most]
         return sorted(out)
 
 
@@ -145,13 +155,14 @@ class RoleIndex:
             out += [s for h in _HEDGES if (s := h.sub("", v)) and s != v and s not in out]
         return out
 
-    def _match(self, role: str | None) -> str:
+    def _match(self, role: str | None) -> tuple[float, str]:
+        """(cost, entry) of the entry the role means; the cost is infinite for ``unmatched``."""
         if not role or not (plain := _plain(role)):
-            return UNMATCHED
+            return _NONE
         variants = self._variants(plain)
         for v in variants:
             if (bare := v.replace(".", "")) in self.exact:
-                return self.exact[bare]
+                return 0.0, self.exact[bare]
         best: tuple[float, str] | None = None
         for k, v in enumerate(variants):
             tokens = [t for t in v.split() if t.rstrip(".") and t.rstrip(".") not in _STOP]
@@ -174,16 +185,16 @@ class RoleIndex:
                     cost += 1 + missed
                 if ok and cost <= 1 + 1.5 * len(tokens) and (best is None or (cost, name) < best):
                     best = (cost, name)
-        return best[1] if best else self._run_together(variants)
+        return best or self._run_together(variants)
 
-    def _run_together(self, variants: list[str]) -> str:
+    def _run_together(self, variants: list[str]) -> tuple[float, str]:
         """The entry whose name or alias the role is, spaces left out or misplaced."""
         for v in variants:
             bare = v.replace(" ", "").replace(".", "")
             near = self.joined_tree.near(bare, 1 if len(bare) < 12 else 2) if len(bare) >= 7 else []
             if near:
-                return self.joined[near[0][1]]
-        return UNMATCHED
+                return 1e6 + near[0][0], self.joined[near[0][1]]
+        return _NONE
 
 
 def _vowels(letters: str) -> int:
@@ -199,14 +210,37 @@ def _skips(short: str, word: str) -> bool:
 def mapped_roles(
     actors: DataFrame, vocabulary: DataFrame, actor_id: str = "id", role: str = "role", canonical: str = "canonical_role"
 ) -> DataFrame:
-    """(actor_id, canonical_role): the entry each role means, or ``unmatched``; actors are given once each."""
-    entries = [tuple(r) for r in vocabulary.select(canonical, "gloss", "aliases").where(f"{canonical} is not null").toLocalIterator()]
+    """(actor_id, canonical_role): the entry each role means, or ``unmatched``; actors are given once each.
+
+    Null or empty roles are unmatched, an empty reference list matches nothing, an actor that comes
+    with several roles gets the entry of least cost. The reference list goes through the driver a
+    shard of at most ``SHARD`` entries at a time; the actors never do.
+    """
+    scratch = Scratch(actors.sparkSession, "roles")
+    known = scratch.cut(actors.select(F.col(actor_id).alias("actor_id"), F.col(role).alias("role")).distinct())
+    roles = scratch.cut(known.where("role is not null").select("role").distinct())
+    listed = vocabulary.select(canonical, "gloss", "aliases").where(F.col(canonical).isNotNull())
+    found = None
+    rows = listed.toLocalIterator()
+    while entries := [tuple(r) for r in islice(rows, SHARD)]:
+        part = roles.mapInPandas(_searcher(entries), "role string, cost double, name string")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return known.select("actor_id", F.lit(UNMATCHED).alias("canonical_role")).distinct()
+    best = found.groupBy("role").agg(F.min(F.struct("cost", "name")).alias("best"))
+    # the winners are as many as distinct roles; a hot role is one row on that side
+    told = known.join(best, "role", "left").select("actor_id", F.coalesce("best", F.struct(F.lit(_NONE[0]).alias("cost"), F.lit(UNMATCHED).alias("name"))).alias("best"))
+    return told.groupBy("actor_id").agg(F.min("best").alias("best")).select("actor_id", F.col("best.name").alias("canonical_role"))
+
+
+def _searcher(entries: list[tuple]):
     index: list[RoleIndex] = []
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if not index:
             index.append(RoleIndex(entries))
         for pdf in batches:
-            yield pd.DataFrame({"actor_id": pdf[actor_id], "canonical_role": [index[0].match(r) for r in pdf[role]]})
+            told = [index[0].match(r) for r in pdf["role"]]
+            yield pd.DataFrame({"role": pdf["role"], "cost": [float(c) for c, _ in told], "name": [n for _, n in told]})
 
-    return actors.select(actor_id, role).mapInPandas(scan, "actor_id string, canonical_role string").distinct()
+    return scan
