@@ -26,14 +26,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import Scratch
+
 SHARD_WORDS = 60_000
 BLOCK = 8
 K1, B = 1.2, 0.75
 STRIDE = 16
 
-_PAGE = re.compile(r"[\[(]\s*(?:pp?|pg|page|seite|s|f|fol)\.?\s*\d{1,5}\s*[\])]|^[ \t>]*[-–—]?[ \t]*\d{1,4}[ \t]*[-–—]?[ \t]*$", re.M)
+# a number in brackets, or alone on its line, with at most one short word beside it
+_PAGE = re.compile(r"[\[(]\s*(?:[^\W\d_]{1,6}\.?\s*)?\d{1,5}\s*[\])]|^[ \t>]*[-–—]?[ \t]*(?:[^\W\d_]{1,6}\.?[ \t]*)?\d{1,5}[ \t]*[-–—]?[ \t]*$", re.M)
 _BROKEN = re.compile(r"(?<=\w)[-‐‑]\s*\n[\s>]*(?=\w)")
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -49,16 +52,11 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text)
 
 
-def standing_sentences(passages: list[str], share: float = 0.02) -> set[str]:
-    """Closing sentences that several passages have in common."""
-    last = Counter(_SENTENCE.split(p.strip())[-1] for p in passages if p and p.strip())
-    return {s for s, n in last.items() if n >= max(2, share * len(passages))}
-
-
-def without_standing(passage: str, standing: set[str]) -> str:
-    """The passage without its standing closing sentence."""
-    parts = _SENTENCE.split(passage.strip())
-    return passage.strip()[: -len(parts[-1])] if parts[-1] in standing else passage
+def split_closing(passage: str | None) -> tuple[str, str]:
+    """(the passage without its last sentence, that sentence)."""
+    whole = (passage or "").strip()
+    last = _SENTENCE.split(whole)[-1]
+    return whole[: len(whole) - len(last)], last
 
 
 class PassageIndex:
@@ -236,19 +234,31 @@ class PassageIndex:
 def leaked_items(
     documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
     item_id: str = "item_id", passage: str = "passage", min_words: int = 30, per_edit: int = 15,
+    standing: int = 3,
 ) -> DataFrame:
     """(doc_id, item_id): each item of which at least ``min_words`` words stand in order in a document.
 
     Null or empty texts and passages, and items shorter than ``min_words``, match nothing; repeated
     documents are each reported; repeated items are reported under each id; an empty corpus or item
-    table gives an empty result; further columns are ignored. Texts are read whole.
+    table gives an empty result; further columns are ignored. Texts are read whole. A closing sentence
+    that ``standing`` or more different passages share is a standing question and does not count.
     """
-    rows = [(r[0], r[1]) for r in items.select(item_id, passage).where(f"`{passage}` is not null").toLocalIterator()]
-    standing = standing_sentences([p for _, p in rows])
-    parsed = sorted({(i, tuple(words_of(without_standing(p, standing)))) for i, p in rows})
+    scratch = Scratch(documents.sparkSession, "leakage")
+    kind = dict(items.dtypes)[item_id]
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            parts = [split_closing(p) for p in pdf[passage]]
+            yield pd.DataFrame({"item": pdf[item_id], "body": [words_of(b) for b, _ in parts], "closing": [c for _, c in parts], "last": [words_of(c) for _, c in parts]})
+
+    rows = items.select(item_id, passage).where(F.col(item_id).isNotNull() & F.col(passage).isNotNull())
+    split = scratch.cut(rows.mapInPandas(parse, f"item {kind}, body array<string>, closing string, last array<string>"))
+    common = split.groupBy("closing").agg(F.countDistinct(F.xxhash64("body")).alias("bodies")).where(F.col("bodies") >= standing)
+    told = split.join(common, "closing", "left").select("item", F.when(F.col("bodies").isNull(), F.concat("body", "last")).otherwise(F.col("body")).alias("words"))
+    parsed = scratch.cut(told.where(F.size("words") >= min_words).distinct().orderBy("item"))
     shards: list[list] = [[]]
     size = 0
-    for i, ws in parsed:
+    for i, ws in parsed.toLocalIterator():
         if size + len(ws) > SHARD_WORDS and shards[-1]:
             shards.append([])
             size = 0
