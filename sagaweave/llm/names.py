@@ -331,7 +331,12 @@ def linked_names(parsed: DataFrame) -> DataFrame:
     keyed = keyed.withColumn("group", F.substring_index("core", "|", 2))
     keyed = scratch.cut(keyed)
     # nothing is bounded: a bucket is met by its pairs, which are few as cores are distinct
-    met = keyed.select(F.col("core").alias("a"), "band", "group").join(keyed.select(F.col("core").alias("b"), "band", "group"), ["band", "group"]).where("a < b").select("a", "b").distinct()
+    met = keyed.select(F.col("core").alias("a"), "band", "group").join(keyed.select(F.col("core").alias("b"), "band", "group"), ["band", "group"]).where("a < b").select("a", "b")
+    # most meetings are chance, or houses that share one partner: before Python sees a pair, every word of a
+    # core must have one within reach in the other (a swap counts 2 in this distance)
+    word = lambda c: F.split(F.substring_index(c, "|", -1), " ")
+    within = F.forall(word("a"), lambda x: F.exists(word("b"), lambda y: F.levenshtein(x, y, 4) >= 0))
+    met = met.where((F.size(word("a")) == F.size(word("b"))) & within).distinct()
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
