@@ -55,12 +55,12 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     count = np.zeros(capacity + 1, np.int64)
     place, made = np.empty(len(sizes), np.int64), 0
     for i, s in enumerate(sizes):
-        # moving a container from gap g to g - s changes the sum of squares by 2 (N(g - s) - N(g) + 1)
-        after = count[: capacity - s + 1].copy()
-        after[0] = -1 if s < capacity else 0  # full containers are no longer counted
-        change = after - count[s:] + 1
+        # moving a container from gap g to g - s changes the sum of squares by 2 (N(g - s) - N(g) + 1);
+        # filling one up changes it by 1 - 2 N(s), a new one by 2 N(capacity - s) + 1, or 0 if it is full at once
+        change = 2 * (count[: capacity - s + 1] - count[s:] + 1)
+        change[0] = 1 - 2 * count[s]
         change[count[s:] == 0] = np.iinfo(np.int64).max
-        change[capacity - s] = after[capacity - s] if s < capacity else 0  # a new container
+        change[capacity - s] = 2 * count[capacity - s] + 1 if s < capacity else 0
         g = int(change.argmin()) + int(s)  # of equal ones the smallest gap
         if g == capacity:
             at, made = made, made + 1
