@@ -41,3 +41,17 @@ def test_p5_nearest_over_blocks(crowded):
     want = {(f"v{i:04d}", f"v{j:04d}") for i in range(len(cos)) for j in np.argsort(-cos[i], kind="stable")[:5] if cos[i, j] >= 0.9}
     got = nb.nearest(df, "id", "space", "vector", 5, least=0.9, p_stop=0.9999).collect()
     assert want and {(r["id"], r["neighbour"]) for r in got} == want
+
+
+def test_p1_neighbourhoods_without_a_second_comparison(packed, crowded):
+    index, scratch = packed
+    found, hoods = nb.neighbour_gids(index, 8, LEAST, nb.P_STOP, scratch, count=True)
+    ids = {r["gid"]: int(r["id"][1:]) for r in nb.names(index).collect()}
+    reach = crowded[1] >= LEAST
+    marks = {v: int(nb.mark(np.array([g]))[0]) for g, v in ids.items()}
+    rows = hoods.collect()
+    assert len(rows) == len(ids)
+    for r in rows:
+        near = np.flatnonzero(reach[ids[r["gid"]]])
+        assert r["n"] == len(near) and (r["h"] - sum(marks[v] for v in near)) % 2**64 == 0
+    assert all(reach[ids[r["gid"]], ids[r["other"]]] for r in found.collect())
